@@ -14,6 +14,7 @@ COLUMNS = {
     "p5_found": ["chunk_id"],
     "p6_ids": ["doc_id", "ids"],
     "p7_containers": ["target", "container", "position", "doc_id", "part", "start_token", "end_token", "n_tokens", "capacity"],
+    "p8_found": ["doc_id"],
 }
 
 

@@ -1,0 +1,40 @@
+import pytest
+
+from brindle.llm import mojibake
+
+CLEAN = ["Der Prüflauf überspringt die Größe der Bäume.", "Le château répète la fenêtre — même à vide.", "Индекс читает имена функций до начала поиска.", "索引は検索の前に全ての経路を確認する。空の目録は毎回見出しの値を書き直す。"]
+
+
+@pytest.fixture(scope="module")
+def restored(spark):
+    """doc_id -> restored text of a corpus with the texts as documents from 1000."""
+
+    def run(*texts):
+        rows = [(i, CLEAN[i % len(CLEAN)]) for i in range(60)] + [(1000 + i, t) for i, t in enumerate(texts)]
+        return {r.doc_id: r.restored for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+    return run
+
+
+def test_once(restored):
+    steps = [(0, "utf-8", "cp1252"), (0, "cp1252", "cp1251"), (1, "cp1252", "mac-roman"), (2, "cp1251", "koi8-r"), (2, "utf-8", "cp866")]
+    texts = [mojibake.garble(CLEAN[k], ((a, b),)) for k, a, b in steps]
+    got = restored(*texts)
+    assert sorted(got) == [1000 + i for i in range(len(steps))]
+    assert got[1000] == CLEAN[0]
+    assert got[1001] == CLEAN[0]
+
+
+def test_lost_characters_and_parts(restored):
+    text = CLEAN[0] + " " + CLEAN[0].encode("cp1252").decode("utf-8", "replace")
+    assert set(restored(text)) == {1000}
+
+
+def test_no_cases(restored):
+    quoted = "A reader typed `Größe` and saw `GrÃ¶ÃŸe` on the page."
+    spoken = "It showed GrÃ¶ÃŸe where Größe was meant."
+    assert restored(quoted, spoken, "a lone � marks a byte nobody could read", "MAÇÃ «É» 3 µm Å", "cafe\u0301", "", None) == {}
+
+
+def test_empty_table(spark):
+    assert mojibake.garbled(spark.createDataFrame([], "doc_id bigint, text string")).isEmpty()
