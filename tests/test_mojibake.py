@@ -33,8 +33,27 @@ def test_lost_characters_and_parts(restored):
 def test_no_cases(restored):
     quoted = "A reader typed `Größe` and saw `GrÃ¶ÃŸe` on the page."
     spoken = "It showed GrÃ¶ÃŸe where Größe was meant."
-    assert restored(quoted, spoken, "a lone � marks a byte nobody could read", "MAÇÃ «É» 3 µm Å", "cafe\u0301", "", None) == {}
+    assert restored(quoted, spoken, "It gave `“ok”` and `â€œokâ€\x9d`.", "a lone � marks a byte nobody could read", "MAÇÃ «É» 3 µm Å", "cafe\u0301", "", None) == {}
 
 
 def test_empty_table(spark):
     assert mojibake.garbled(spark.createDataFrame([], "doc_id bigint, text string")).isEmpty()
+
+
+@pytest.mark.parametrize("k, chain", [
+    (2, (("utf-8", "cp1252"), ("utf-8", "cp1251"))),
+    (2, (("utf-8", "cp437"), ("utf-8", "latin-1"), ("utf-8", "cp1252"))),
+    (0, (("utf-8", "cp1252"), ("cp1252", "cp1251"))),
+    (3, (("utf-8", "cp1252"),)),
+    (3, (("utf-8", "latin-1"), ("utf-8", "latin-1"))),
+    (3, (("cp932", "cp1252"),)),
+    (3, (("utf-8", "gbk"),)),
+    (3, (("euc-jp", "gbk"),)),
+])
+def test_chains(restored, k, chain):
+    assert set(restored(mojibake.garble(CLEAN[k], chain))) == {1000}
+
+
+def test_string_in_code_and_lost_sign(restored):
+    lines = 'x = "' + mojibake.garble("Größe", (("utf-8", "cp1252"),)) + '";', "Le château \ufffd même."
+    assert set(restored(*lines)) == {1000, 1001}
