@@ -2,8 +2,8 @@
 
 Every text is turned into tokens of the language that its path's extension names and parsed with
 derivatives (``derivative.py``). An empty derivative gives the failing token, a language that isn't
-nullable at the end gives a truncation. Rejections of Python, JSON and XML are confirmed by the
-exact parsers of Python's library. Texts never leave the scan's tasks: only verdicts are shuffled.
+nullable at the end gives a truncation. Verdicts on Python, JSON and XML are confirmed by the exact
+parsers of Python's library: the grammars are looser in places, such as the order of arguments. Texts never leave the scan's tasks: only verdicts are shuffled.
 """
 
 from __future__ import annotations
@@ -66,7 +66,8 @@ def _exact(language: str, text: str) -> bool | None:
 
 def verdict(language: str | None, text: str | None) -> tuple[str, int]:
     """('ok' | 'token' | 'end' | 'unknown', offset). 'token': the token at the offset can't stand
-    there; 'end': the text stops too early; 'unknown': null text or unknown language. Markdown is
+    there (offset 0 if only the exact parser rejects the text); 'end': the text stops too early; 'unknown':
+    null text, unknown language, or nested too deeply for any parser here. Markdown is
     always 'ok', and so is an empty text of C# or Python."""
     if text is None or language is None:
         return "unknown", 0
@@ -82,9 +83,10 @@ def verdict(language: str | None, text: str | None) -> tuple[str, int]:
         tokens = _LEXERS[language](text)
         status, at = grammar.run(start, tokens.kinds)
     except RecursionError:
-        return ("ok", len(text)) if _exact(language, text) else ("token", 0)
-    if status != "ok" and _exact(language, text):
-        return "ok", len(text)
+        exact = _exact(language, text)
+        return ("unknown", 0) if exact is None else ("ok", len(text)) if exact else ("token", 0)
+    if language != "csharp" and (exact := _exact(language, text)) is not None and exact != (status == "ok"):
+        return ("ok", len(text)) if exact else ("token", 0)
     if status == "token" and tokens.kinds[at] == "error" and tokens.starts[at] >= len(text):
         return "end", len(text)
     return status, tokens.starts[at] if status == "token" else len(text)

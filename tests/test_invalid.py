@@ -1,0 +1,22 @@
+import pytest
+
+from brindle.llm import invalid
+
+
+@pytest.mark.parametrize("text", ["f(a=1, 2)\n", "def f(a=1, b):\n    pass\n", "def f(**k, a):\n    pass\n"])
+def test_order_of_arguments(text):
+    assert invalid.verdict("python", text)[0] == "token"
+
+
+def test_valid_python():
+    assert invalid.verdict("python", "def f(a, b=1, *c, d, **k):\n    return f(a, *c, d=1, **k)\n")[0] == "ok"
+
+
+def test_deep_nesting_is_not_reported(monkeypatch):
+    def deep(self, start, kinds):
+        raise RecursionError
+
+    invalid.verdict("csharp", "class A { }")
+    monkeypatch.setattr(invalid.Grammar, "run", deep)
+    assert invalid.verdict("csharp", "class A { int x = ((1)); }")[0] == "unknown"
+    assert invalid.verdict("python", "x = ((1))\n")[0] == "ok"
