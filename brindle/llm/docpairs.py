@@ -203,6 +203,11 @@ _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+|\d+")
 def clean_csharp(doc: str) -> str:
     """The text of a documentation comment without comment markers, XML markup and the sections on
     parameters, results and errors."""
+    return re.sub(r"\s+", " ", _csharp_lines(doc)).strip()
+
+
+def _csharp_lines(doc: str) -> str:
+    """The same in its lines."""
     if doc.lstrip().startswith("/**"):
         doc = re.sub(r"^\s*/\*\*|\*/\s*$", "", doc)
         doc = re.sub(r"^[ \t]*\*[ \t]?", "", doc, flags=re.M)
@@ -210,8 +215,7 @@ def clean_csharp(doc: str) -> str:
     doc = re.sub(r"^[ \t]*/\*\*|\*/[ \t]*$", "", doc, flags=re.M)
     doc = _SECTION_TAGS.sub(" ", doc)
     doc = _HIDDEN_TAGS.sub(" ", doc)
-    doc = _sections(html.unescape(_TAG.sub(" ", doc)))
-    return re.sub(r"\s+", " ", doc).strip()
+    return _sections(html.unescape(_TAG.sub(" ", doc)))
 
 
 def clean_python(doc: str) -> str:
@@ -268,7 +272,8 @@ _FILLER = frozenset(
 )
 _PLACEHOLDER = re.compile(
     r"""^\W*(?:
-      (?:todo|fixme|tbd|tba|tbc|xxx|hack|wip|n/?a|none|nothing|null|empty|placeholder|stub|dummy|undocumented|untitled|lorem\ ipsum)\b.*
+      (?:todo|fixme|tbd|tba|tbc|xxx|wip|n/?a|placeholder|undocumented|untitled|lorem\ ipsum)\b.*
+    | (?:hack|none|nothing|null|empty|stub|dummy)(?:\W+(?:yet|here|for\ now|so\ far|only|method|function|constructor|implementation|body|text|documentation|description|docs?|docstring|comment|summary|placeholder|value|todo|tbd|to\ (?:see|say|document|describe|add)))*\W*
     | (?:to\ be\ (?:done|documented|defined|written|determined|added|completed|described)|work\ in\ progress|coming\ soon|not\ (?:yet\ )?(?:documented|implemented|described)|undocumented)\b.*
     | (?:no|missing)\ (?:documentation|description|comment|comments|summary|docs?|docstring)\b.*
     | (?:documentation|description|docs?|docstring|comment|summary)(?:\W+(?:goes\ here|here|missing|pending|needed|required|to\ follow|to\ come|tbd|todo|is\ missing|not\ available|unavailable|text))?\W*
@@ -281,7 +286,7 @@ _PLACEHOLDER = re.compile(
     | this\ (?:api|method|member|type|class)\ (?:supports|is\ intended\ for|is\ not\ intended)\b.*(?:infrastructure|internal|directly)\b.*
     | (?:do\ not\ use|not\ (?:meant|intended)\ (?:for|to))\b.{0,80}(?:public|outside|directly|code|external)\b.*
     | (?:this\ \w+\ (?:was|is)\ )?auto(?:matically)?[-\ ]?generated\b.*
-    | (?:generated|created|written|produced)\ by\b.*
+    | (?:generated|created|written|produced)\ by\ (?:a\ |an\ |the\ )?(?:[\w.]+\ )?(?:visual\ studio|wizard|templates?|tools?|ghostdoc|resharper|roslynator|code\ ?gen\w*|generator|designer|scaffold\w*|scripts?|copilot|chatgpt|ide)\b.{0,60}
     | (?:this\ (?:code|file|method|class)\ was\ (?:auto|generated)).*
     | (?:ghostdoc|resharper|roslynator|stylecop|pylint|noqa|type:\ ?ignore|pragma)\b.*
     )$""",
@@ -289,6 +294,14 @@ _PLACEHOLDER = re.compile(
 )
 _CODE = re.compile(r"(?:[;{}]\s*$|^\s*(?:var|return|if|for|foreach|while|def|import|from|public|private|internal|protected|using|await|throw|raise|print|self\.|this\.)\b.*(?:[;:{}()=]|\bimport\b)|^[\w.\[\]]+\s*(?:=|\+=|-=)\s*\S+\s*;?$|^[\w.]+\(.*\)\s*;?$)")
 
+#: Four plain words in a row, as prose has them.
+_PROSE = re.compile(r"(?:\b[^\W\d_]{2,}[ ,]+){3}[^\W\d_]{2,}")
+
+
+def _is_code(line: str) -> bool:
+    """Whether a line of documentation is code: it looks so and isn't a sentence."""
+    return bool(_CODE.search(line)) and (line[-1] in ";{}" or not _PROSE.search(line))
+
 
 def _stem(w: str) -> str:
     w = w.lower()
@@ -315,15 +328,15 @@ def _parts(*names: str) -> set[str]:
 
 
 def is_trivial(doc: str, name: str, symbol: str, params: list[str]) -> bool:
-    """Whether a cleaned documentation says nothing beyond the declaration: no words; only names of
+    """Whether a documentation, cleaned and in its lines, says nothing beyond the declaration: no words; only names of
     the function, its types or parameters, in other spelling or with filler; a note that text is
     missing, inherited or internal; boilerplate of a tool; disabled code."""
     if not any(c.isalpha() for c in doc):
         return True
     lines = [x.strip() for x in re.split(r"[\r\n]+", doc) if x.strip()]
-    if _PLACEHOLDER.match(doc.strip()):
+    if _PLACEHOLDER.match(" ".join(doc.split())):
         return True
-    if all(_CODE.search(x) for x in lines):
+    if all(map(_is_code, lines)):
         return True
     known = _parts(name, *symbol.split("."), *params)
     words = [p for w in re.findall(r"[^\W_]+", doc) for p in _CAMEL.findall(w)]
@@ -343,9 +356,9 @@ def pairs_of(path: str | None, text: str | None) -> list[tuple[int, int, str, st
     tokens = (lexers.lex_csharp if csharp else lexers.lex_python)(text)
     breaks = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
     for p in (_pairs_csharp if csharp else _pairs_python)(tokens, text):
-        doc = clean_csharp(p.doc) if csharp else clean_python(p.doc)
+        doc = _csharp_lines(p.doc) if csharp else _sections(p.doc)
         if not is_trivial(doc, p.name, p.symbol, p.params):
-            out.append((bisect_right(breaks, p.start) + 1, bisect_right(breaks, max(p.start, p.end - 1)) + 1, p.symbol, text[p.start : p.end], doc))
+            out.append((bisect_right(breaks, p.start) + 1, bisect_right(breaks, max(p.start, p.end - 1)) + 1, p.symbol, text[p.start : p.end], " ".join(doc.split())))
     return out
 
 

@@ -1,0 +1,20 @@
+import pytest
+
+from brindle.llm import docpairs
+
+
+def documented(doc):
+    return bool(docpairs.pairs_of("a.py", f'def run(x):\n    """{doc}"""\n    pass\n'))
+
+
+@pytest.mark.parametrize("doc", [
+    "Empty the cache before shutdown.", "Nothing is written until the lock is free.", "Produced by the parser, one entry a line.",
+    "Written by the night job to the ledger.", "return the cached copy (or build one)", "if a berth is free (or soon will be), take it\nand tell the harbour master",
+])
+def test_prose(doc):
+    assert documented(doc)
+
+
+@pytest.mark.parametrize("doc", ["Empty.", "none yet", "stub implementation", "dummy", "TODO: document", "Generated by the wizard.", "Created by Visual Studio", "return x.close();", "if (x > 1):\n    y = x"])
+def test_trivial(doc):
+    assert not documented(doc)
