@@ -64,9 +64,10 @@ def _strengths(lines: list[str]) -> list[int]:
 
 def pieces(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, overlap) of the pieces of a text, in code points: each is at most ``limit`` long,
-    begins with up to ``overlap`` whole lines of the piece before it and goes on where that one ended.
-    Lines of overlap that would leave less than half of the limit for new text are left out, and so
-    they are after a cut inside a line. A line feed at the end of a piece doesn't count for its length
+    begins with up to ``overlap`` last lines of the piece before it and goes on where that one ended.
+    Lines that leave no room for new text are left out.
+    After a cut inside a line, the part of the line before the cut is the last line, and isn't repeated if
+    it is all that the piece before has. A line feed at the end of a piece doesn't count for its length
     nor belong to its text. A text within the limit is one piece; an empty one too."""
     if limit < 1 or overlap < 0:
         raise ValueError("limit must be positive and overlap not negative")
@@ -85,15 +86,15 @@ def pieces(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, int]
     out: list[tuple[int, int, int]] = []
     pos = 0
     while True:
-        # whole lines before pos that are repeated
+        # lines before pos that are repeated; the last may be a part
         begin, repeated = pos, 0
         k = bisect_left(starts, pos)
-        if out and overlap and k < len(starts) and starts[k] == pos:
+        if out and overlap:
             floor = max(out[-1][0], 0)
-            while repeated < overlap and k - repeated - 1 >= 0 and starts[k - repeated - 1] >= floor and pos - starts[k - repeated - 1] <= limit // 2:
+            while repeated < overlap and k - repeated - 1 >= 0 and starts[k - repeated - 1] >= floor and pos - starts[k - repeated - 1] < limit:
                 repeated += 1
-            # the piece before must not be repeated as a whole
-            while repeated and starts[k - repeated] <= floor:
+            # after a cut inside a line the piece before must not be repeated as a whole
+            while repeated and pos not in starts[k : k + 1] and starts[k - repeated] <= floor:
                 repeated -= 1
             begin = starts[k - repeated] if repeated else pos
         if n - begin <= limit:

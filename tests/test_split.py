@@ -1,0 +1,22 @@
+import pytest
+
+from brindle.llm.split import pieces
+
+
+@pytest.mark.parametrize("width", [120, 260, 400, 480])
+def test_the_line_before_is_repeated_if_it_leaves_room(width):
+    text = "\n".join(f"{i:04d} " + "word " * ((width - 5) // 5) for i in range(12))
+    starts = {0, *(i + 1 for i, c in enumerate(text) if c == "\n")}
+    cut = pieces(text, 500, 1)
+    assert cut[0][0] == 0 and cut[-1][1] == len(text)
+    for (a, b, _), (c, d, repeated) in zip(cut, cut[1:], strict=False):
+        assert c <= b < d and len(text[c:d].removesuffix("\n")) <= 500
+        line = text.rfind("\n", 0, b - 1) + 1
+        if line > a or b in starts and b - line < 500:
+            assert c <= line and repeated == 1
+
+
+def test_one_long_line():
+    text = "word " * 1000
+    cut = pieces(text, 500, 1)
+    assert cut[-1][1] == len(text) and all(b - a <= 500 for a, b, _ in cut)
