@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.knn import valid
+from ..functions.vectors import dot, literal, valid
 
 #: Constants of the reference: least depth of a branch, RRF, path-only hits, hits of a file.
 DEPTH, RRF_K, PATH_ONLY, PER_FILE = 50, 60, 20, 2
@@ -37,10 +37,7 @@ def candidates(chunks: DataFrame, kind: str | None = None, path_filter: str | No
 def vector_branch(chunks: DataFrame, vectors: DataFrame, query: list[float], k: int, floor: float | None = None) -> DataFrame:
     """chunk_id, score, rank of the k chunks of highest cosine similarity, at least ``floor`` if given.
     Invalid embeddings take no part; a repeated row counts once."""
-    if not query or not all(map(math.isfinite, query)):
-        raise ValueError("the query's vector must be finite and not empty")
-    q = F.array(*(F.lit(float(x)) for x in query))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    q = literal(query)
     own = vectors.filter(valid("embedding", len(query))).select(F.col("vec_id").alias("chunk_id"), "embedding").dropDuplicates(["chunk_id"])
     length = math.sqrt(sum(x * x for x in query)) or 1.0
     e = F.col("embedding")

@@ -1,45 +1,39 @@
-"""The registered queries, on the smallest tables."""
+"""The entry file and every registered query of the core against its SQL, on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as e
+from brindle.plans import queries
 
 DATA = "/root/testdata/sf0.001"
-COLUMNS = {
-    "p1_found": ["project", "path"],
-    "p2_found": ["vec_id_a", "vec_id_b"],
-    "p3_found": ["project", "generation", "path", "change"],
-    "p4_found": ["project", "path", "start_line", "symbol"],
-    "p5_found": ["chunk_id"],
-    "p6_ids": ["doc_id", "ids"],
-    "p7_containers": ["target", "container", "position", "doc_id", "part", "start_token", "end_token", "n_tokens", "capacity"],
-    "p8_found": ["doc_id"],
-}
+TABLES = ("chunks", "documents", "fingerprints", "index_headers", "index_vectors", "projects", "source_files")
 
 
-def test_entry(spark):
-    assert e.entry(spark).count() > 0
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    return con
 
 
-@pytest.mark.parametrize("name", COLUMNS)
-def test_registered(spark, name):
-    got = e.queries()[name](spark, DATA)
-    assert got.columns == COLUMNS[name]
-    assert got.count() > 0
+def test_entry(spark):
+    assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p5_found"])
-def test_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("fingerprints", "index_headers", "source_files", "chunks", "split_limits"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
-    want = sorted(con.execute(e.oracle_sql()[name]).fetchall())
-    assert sorted(map(tuple, e.queries()[name](spark, DATA).collect())) == want
+def test_the_entry_file_has_the_core(spark):
+    assert set(queries.queries()) <= set(e.queries())
+    assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_every_document_is_encoded(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    got = e.queries()["p6_ids"](spark, DATA)
-    assert got.count() == docs.count()
-    assert got.join(docs.filter("coalesce(text, '') = ''"), "doc_id").filter("size(ids) > 0").isEmpty()
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, duck, name):
+    got = queries.queries()[name](spark, DATA)
+    want = duck.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    rows = sorted(repr(r) for r in want.fetchall())
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == rows
+    assert rows
