@@ -19,10 +19,13 @@ DEPTH, RRF_K, PATH_ONLY, PER_FILE = 50, 60, 20, 2
 EXACT, PREFIX, SUBSTRING, SIGNATURE, PATH = 5, 4, 3, 2, 1
 
 
-def _ranked(df: DataFrame, score: str, k: int) -> DataFrame:
-    """The k best rows and their rank: highest score, then smallest chunk_id."""
-    top = df.orderBy(F.desc(score), "chunk_id").limit(max(k, 0))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "chunk_id")))
+def _ranked(df: DataFrame, score: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best rows and their rank, of each group if ``by`` is given: highest score, then smallest
+    chunk_id. Either way tasks keep only k rows (a group) before the shuffle."""
+    order = (F.desc(score), F.col("chunk_id"))
+    if by:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= max(k, 0))
+    return df.orderBy(*order).limit(max(k, 0)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def candidates(chunks: DataFrame, kind: str | None = None, path_filter: str | None = None) -> DataFrame:
@@ -34,15 +37,16 @@ def candidates(chunks: DataFrame, kind: str | None = None, path_filter: str | No
     return own.filter(F.contains(F.lower("path"), F.lower(F.lit(path_filter)))) if path_filter else own
 
 
-def vector_branch(chunks: DataFrame, vectors: DataFrame, query: list[float], k: int, floor: float | None = None) -> DataFrame:
-    """chunk_id, score, rank of the k chunks of highest cosine similarity, at least ``floor`` if given.
-    Invalid embeddings take no part; a repeated row counts once."""
+def vector_branch(chunks: DataFrame, vectors: DataFrame, query: list[float], k: int, floor: float | None = None, by: tuple[str, ...] = (), digits: int = 9) -> DataFrame:
+    """chunk_id, score, rank of the k chunks of highest cosine similarity (K1, K2), at least ``floor`` if
+    given (P5), of each group if ``by`` is given. Scores are rounded to ``digits``. Invalid embeddings take
+    no part; a repeated row counts once."""
     q = literal(query)
     own = vectors.filter(valid("embedding", len(query))).select(F.col("vec_id").alias("chunk_id"), "embedding").dropDuplicates(["chunk_id"])
     length = math.sqrt(sum(x * x for x in query)) or 1.0
     e = F.col("embedding")
-    scored = own.join(chunks.select("chunk_id"), "chunk_id").select("chunk_id", F.round(dot(e, q) / (F.sqrt(dot(e, e)) * length), 9).alias("score"))
-    return _ranked(scored if floor is None else scored.filter(F.col("score") >= floor), "score", k)
+    scored = own.join(chunks.select("chunk_id", *by), "chunk_id").select(*by, "chunk_id", F.round(dot(e, q) / (F.sqrt(dot(e, e)) * length), digits).alias("score"))
+    return _ranked(scored if floor is None else scored.filter(F.col("score") >= floor), "score", k, by)
 
 
 def band(term: str) -> Column:
@@ -54,31 +58,52 @@ def band(term: str) -> Column:
     return F.when(leaf == t, EXACT).when(F.startswith(leaf, t), PREFIX).when(F.contains(symbol, t), SUBSTRING).when(F.contains(signature, t), SIGNATURE).when(F.contains(directory, t), PATH).otherwise(0)
 
 
-def symbol_branch(chunks: DataFrame, term: str, k: int) -> DataFrame:
-    """chunk_id, band, rank of the k best matches; of those by path alone the first PATH_ONLY count. A
-    blank term has none."""
+def symbol_branch(chunks: DataFrame, term: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, band, rank of the k best matches, of each group if ``by`` is given; of those by path alone
+    the first PATH_ONLY count (K4 to K6). A blank term has none."""
     term = term.strip()
-    hits = chunks.select("chunk_id", band(term).alias("band")).filter((F.col("band") > 0) & F.lit(bool(term)))
-    paths = hits.filter(F.col("band") == PATH).orderBy("chunk_id").limit(PATH_ONLY)
-    return _ranked(hits.filter(F.col("band") > PATH).unionByName(paths), "band", k)
-
-
-def fuse(vector: DataFrame, symbol: DataFrame, depth: int) -> DataFrame:
-    """chunk_id, score, exempt (whether the symbol branch has it), rank: reciprocal rank fusion."""
-    both = vector.select("chunk_id", "rank", F.lit(False).alias("literal")).unionByName(symbol.select("chunk_id", "rank", F.lit(True).alias("literal")))
-    fused = both.groupBy("chunk_id").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 12).alias("score"), F.bool_or("literal").alias("exempt"))
-    return _ranked(fused, "score", depth)
-
-
-def diversify(fused: DataFrame, chunks: DataFrame, limit: int, per_file: int = PER_FILE) -> DataFrame:
-    """The first ``limit`` rows of a ranking with at most ``per_file`` of a file, exempt ones aside;
-    what is deferred fills up. The order stays the ranking's."""
-    own = fused.join(chunks.select("chunk_id", "project", "path"), "chunk_id")
+    hits = chunks.select(*by, "chunk_id", band(term).alias("band")).filter((F.col("band") > 0) & F.lit(bool(term)))
+    by_path = hits.filter(F.col("band") == PATH)
+    paths = _ranked(by_path, "band", PATH_ONLY, by).drop("rank") if by else by_path.orderBy("chunk_id").limit(PATH_ONLY)
+    return _ranked(hits.filter(F.col("band") > PATH).unionByName(paths), "band", k, by)
+
+
+def fuse(vector: DataFrame, symbol: DataFrame, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, score, exempt (whether the symbol branch has it), rank: reciprocal rank fusion (K8)."""
+    both = vector.select(*by, "chunk_id", "rank", F.lit(False).alias("literal")).unionByName(symbol.select(*by, "chunk_id", "rank", F.lit(True).alias("literal")))
+    fused = both.groupBy(*by, "chunk_id").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 12).alias("score"), F.bool_or("literal").alias("exempt"))
+    return _ranked(fused, "score", depth, by)
+
+
+def diversify(fused: DataFrame, chunks: DataFrame, limit: int, per_file: int = PER_FILE, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``limit`` rows of a ranking (of each group if ``by`` is given) with at most ``per_file``
+    of a file, exempt ones aside (D2); what is deferred fills up (D1). The order stays the ranking's, in
+    ``rank``. A limit of 0 or less gives none; per_file below 1 is an error."""
+    if per_file < 1:
+        raise ValueError("per_file must be positive")
+    own = fused.join(chunks.select("chunk_id", "project", "path"), ["chunk_id", *by])
     nth = F.count_if(~F.col("exempt")).over(Window.partitionBy("project", "path").orderBy("rank"))
     marked = own.withColumn("deferred", ~F.col("exempt") & (nth > per_file))
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("deferred", "rank"))
+        return marked.withColumn("__place", place).filter(F.col("__place") <= max(limit, 0)).drop("deferred", "__place")
     return marked.orderBy("deferred", "rank").limit(max(limit, 0)).drop("deferred")
 
 
+def merged_search(chunks: DataFrame, vectors: DataFrame, query: list[float], term: str, limit: int, floor: float = 0.55, kind: str | None = None, path_filter: str | None = None) -> DataFrame:
+    """project, chunk_id, path, score, exempt, rank: every project searched for itself, as
+    ``hybrid_search`` does, and the results merged by score (in single precision, as it is given out),
+    then project and chunk_id (K10, X7). All projects are one plan: windows by project."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    own, depth, by = candidates(chunks, kind, path_filter), max(DEPTH, limit), ("project",)
+    fused = fuse(vector_branch(own, vectors, query, depth, floor, by), symbol_branch(own, term, depth, by), depth, by)
+    hits = diversify(fused, own, limit, by=by).withColumn("score", F.col("score").cast("float"))
+    order = (F.desc("score"), F.col("project"), F.col("chunk_id"))
+    top = hits.select("project", "chunk_id", "path", "score", "exempt").orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: list[float], term: str, limit: int, floor: float = 0.55, kind: str | None = None, path_filter: str | None = None) -> DataFrame:
     """chunk_id, project, path, score, exempt, rank: the flagship query. Filters come before both
     branches. A negative limit is an error; empty tables give no rows."""
@@ -93,25 +118,3 @@ def first_vector(vectors: DataFrame, dimensions: int = 64) -> list[float]:
     """The valid embedding of the smallest id, which stands for an embedded query."""
     row = vectors.filter(valid("embedding", dimensions)).orderBy("vec_id").select("embedding").first()
     return list(row[0]) if row else [1.0] + [0.0] * (dimensions - 1)
-
-
-def sql(term: str, limit: int, floor: float, kind: str | None = None, path_filter: str | None = None, last: str = "") -> str:
-    """The flagship in SQL, for comparison; ``last`` is another query of its tables."""
-    where = (f" AND kind = '{kind}'" if kind else "") + (f" AND contains(lower(path), lower('{path_filter}'))" if path_filter else "")
-    depth, t = max(DEPTH, limit), term.strip().lower()
-    return f"""
-WITH c AS (SELECT DISTINCT chunk_id, project, path, kind, lower(coalesce(symbol, '')) AS symbol, lower(coalesce(signature, '')) AS signature FROM chunks WHERE true{where}),
-e AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM index_vectors
-      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-q AS (SELECT e AS q FROM e ORDER BY vec_id LIMIT 1),
-v0 AS (SELECT chunk_id, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 9) AS score FROM c JOIN e ON vec_id = chunk_id CROSS JOIN q),
-v AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM v0 WHERE score >= {floor} QUALIFY rank <= {depth}),
-s0 AS (SELECT chunk_id, CASE WHEN split_part(symbol, '.', -1) = '{t}' THEN 5 WHEN starts_with(split_part(symbol, '.', -1), '{t}') THEN 4 WHEN contains(symbol, '{t}') THEN 3
-       WHEN contains(signature, '{t}') THEN 2 WHEN contains(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '{t}') THEN 1 ELSE 0 END AS band FROM c),
-s1 AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY chunk_id) AS n FROM s0 WHERE band > 0),
-s AS (SELECT chunk_id, band, row_number() OVER (ORDER BY band DESC, chunk_id) AS rank FROM s1 WHERE band > 1 OR n <= {PATH_ONLY} QUALIFY rank <= {depth}),
-f0 AS (SELECT chunk_id, round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 12) AS score, bool_or(literal) AS exempt
-       FROM (SELECT chunk_id, rank, false AS literal FROM v UNION ALL SELECT chunk_id, rank, true FROM s) GROUP BY chunk_id),
-f AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM f0 QUALIFY rank <= {depth}),
-d AS (SELECT f.*, project, path, NOT exempt AND count(*) FILTER (NOT exempt) OVER (PARTITION BY project, path ORDER BY rank) > {PER_FILE} AS deferred FROM f JOIN c USING (chunk_id))
-""" + (last or f"SELECT chunk_id, project, path, score, exempt, rank FROM d ORDER BY deferred, rank LIMIT {limit}")

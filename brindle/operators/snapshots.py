@@ -12,20 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import normal_path
+
 #: Buckets that each shuffle partition is processed in; the rows of one are in memory at a time.
 BUCKETS = 64
 CHANGES = ("added", "removed", "changed")
 _COLUMNS = ("bucket", "k1", "k2", "place", "last", "delivered", "value")
 
 
-def normal_path(path: Column | str) -> Column:
-    """A path with ``/`` as separator and without leading ``./``."""
-    return F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./+)+", "")
-
-
 def _places(headers: DataFrame) -> DataFrame:
     """project, generation, place (1, 2, ... by generation) and last, the number of generations."""
     seen = headers.select("project", "generation").dropna().distinct()
