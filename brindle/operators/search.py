@@ -7,7 +7,10 @@ the branch's depth.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +121,46 @@ def first_vector(vectors: DataFrame, dimensions: int = 64) -> list[float]:
     """The valid embedding of the smallest id, which stands for an embedded query."""
     row = vectors.filter(valid("embedding", dimensions)).orderBy("vec_id").select("embedding").first()
     return list(row[0]) if row else [1.0] + [0.0] * (dimensions - 1)
+
+
+#: Query vectors that a pass over the vectors holds at once; more are taken in several passes.
+BATCH = 2_000
+
+
+def vector_batch(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int = 64, floor: float | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: K1 for many queries (query_id, embedding) at once.
+
+    A pass over the vectors multiplies them with a block of BATCH queries in numpy; a task keeps k rows a
+    query, and the k best of all tasks stay. Scores are rounded to 9 digits; of equal ones the smaller
+    chunk_id comes first. Invalid embeddings take no part on either side; a repeated row counts once.
+    """
+    q = queries.filter(F.col("query_id").isNotNull() & valid("embedding", dimensions)).groupBy("query_id").agg(F.min("embedding").alias("embedding"))
+    held = vectors.filter(F.col("vec_id").isNotNull() & valid("embedding", dimensions)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    numbered = q.orderBy("query_id").toArrow()  # the caller's queries: what one asks for, not the table
+    ids, x = numbered.column("query_id").to_numpy(), _unit(numbered.column("embedding").combine_chunks(), dimensions)
+    out: DataFrame | None = None
+    for a in range(0, max(1, len(ids)), BATCH):
+        block = held.sparkSession.sparkContext.broadcast((ids[a : a + BATCH], x[a : a + BATCH]))  # at most BATCH rows
+
+        def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            names, rows = block.value
+            top_s, top_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+            for batch in batches:
+                if not batch.num_rows or not len(names):
+                    continue
+                s = np.round(rows @ _unit(batch.column("embedding"), dimensions).T, 9)
+                i = np.broadcast_to(batch.column("vec_id").to_numpy(), s.shape)
+                s, i = np.concatenate([top_s, s], axis=1), np.concatenate([top_i, i], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            keep = np.ones(top_s.size, bool) if floor is None else top_s.ravel() >= floor
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, top_s.shape[1])[keep]), pa.array(top_i.ravel()[keep]), pa.array(top_s.ravel()[keep])], names=["query_id", "chunk_id", "score"])
+
+        one = held.mapInArrow(best, "query_id bigint, chunk_id bigint, score double")
+        out = one if out is None else out.unionByName(one)
+    return _ranked(out, "score", k, ("query_id",))
+
+
+def _unit(column: pa.Array, dimensions: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]

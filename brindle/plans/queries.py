@@ -50,6 +50,11 @@ def _search(part: str = "all", floor: float = FLOOR, term: str = TERM, digits: i
     return _over(run, "chunks", "index_vectors")
 
 
+def _batch(vectors: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all."""
+    return search.vector_batch(vectors, vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+
+
 # ---- text and chunking -------------------------------------------------------------------------
 def _split_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(T.lines("text")).alias("line_no", "line"))
@@ -158,6 +163,7 @@ def queries() -> dict[str, Query]:
         "cosine_topk": _search("vector", -2.0),
         "cosine_topk_floor": _search("vector", 0.55),
         "cosine_topk_ties": _search("vector", -2.0, digits=1),
+        "cosine_batch": _over(_batch, "index_vectors"),
         "symbol_match": _search("symbol"),
         "symbol_path_cap": _search("symbol", term="src"),
         "rrf_fuse": _search("fused"),
@@ -247,6 +253,10 @@ def oracle_sql() -> dict[str, str]:
         "cosine_topk": part("SELECT chunk_id, score, rank FROM v", floor=-2.0),
         "cosine_topk_floor": part("SELECT chunk_id, score, rank FROM v", floor=0.55),
         "cosine_topk_ties": part("SELECT chunk_id, score, rank FROM v", floor=-2.0, digits=1),
+        "cosine_batch": """WITH e AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM index_vectors
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+          SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(q.e, e.e), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, e.e), 9) DESC, e.vec_id) AS rank
+          FROM e q, e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10""",
         "symbol_match": part("SELECT chunk_id, band, rank FROM s"),
         "symbol_path_cap": part("SELECT chunk_id, band, rank FROM s", term="src"),
         "rrf_fuse": part("SELECT chunk_id, score, exempt, rank FROM f"),
