@@ -85,9 +85,13 @@ class Grammar:
             return b
         if b is self.eps:
             return a
-        if a.kind == "cat":
-            return self.cat(a.a, self.cat(a.b, b))
-        return self._intern(("cat", a.uid, b.uid), "cat", a, b, a.nullable and b.nullable)
+        heads = []
+        while a.kind == "cat":
+            heads.append(a.a)
+            a = a.b
+        for x in (a, *reversed(heads)):
+            b = self._intern(("cat", x.uid, b.uid), "cat", x, b, x.nullable and b.nullable)
+        return b
 
     def seq(self, *parts: Node | str) -> Node:
         out = self.eps
@@ -169,28 +173,53 @@ class Grammar:
     # -- derivatives ----------------------------------------------------------------------------
 
     def derive(self, n: Node, t: str) -> Node:
+        """The derivative of a language by a token. Without recursion: what a derivative is made of lies
+        on a stack until it is there, so languages may be nested as deeply as texts nest."""
         d = n.memo.get(t)
-        if d is None:
-            k = n.kind
-            if k == "tok":
-                d = self.eps if t in n.a else self.empty
-            elif k == "cat":
-                d = self.cat(self.derive(n.a, t), n.b)
-                if n.a.nullable:
-                    d = self.alt(d, self.derive(n.b, t))
-            elif k == "alt":
-                d = self.alt(*(self.derive(m, t) for m in n.a))
-            elif k == "star":
-                d = self.cat(self.derive(n.a, t), n)
-            elif k == "ref":
-                d = self.derive(self.rules[n.a], t)
-            elif k == "data":
-                cls, _, value = t.partition("\0")
-                d = n.b(value) if cls == n.a else self.empty
-            else:
-                d = self.empty
-            n.memo[t] = d
-        return d
+        if d is not None:
+            return d
+        todo = [n]
+        while todo:
+            x = todo[-1]
+            if t in x.memo:
+                todo.pop()
+                continue
+            need = [y for y in self._made_of(x) if t not in y.memo]
+            if need:
+                todo += need
+                continue
+            x.memo[t] = self._derived(x, t)
+            todo.pop()
+        return n.memo[t]
+
+    def _made_of(self, n: Node) -> tuple[Node, ...]:
+        """The nodes whose derivatives make a node's."""
+        k = n.kind
+        if k == "cat":
+            return (n.a, n.b) if n.a.nullable else (n.a,)
+        if k == "alt":
+            return n.a
+        if k == "star":
+            return (n.a,)
+        return (self.rules[n.a],) if k == "ref" else ()
+
+    def _derived(self, n: Node, t: str) -> Node:
+        k = n.kind
+        if k == "tok":
+            return self.eps if t in n.a else self.empty
+        if k == "cat":
+            d = self.cat(n.a.memo[t], n.b)
+            return self.alt(d, n.b.memo[t]) if n.a.nullable else d
+        if k == "alt":
+            return self.alt(*(m.memo[t] for m in n.a))
+        if k == "star":
+            return self.cat(n.a.memo[t], n)
+        if k == "ref":
+            return self.rules[n.a].memo[t]
+        if k == "data":
+            cls, _, value = t.partition("\0")
+            return n.b(value) if cls == n.a else self.empty
+        return self.empty
 
     def _split(self, n: Node) -> tuple[Node, Node]:
         """The shortest non-nullable prefix of a sequence, or all of it, and the rest."""

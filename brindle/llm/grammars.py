@@ -239,9 +239,12 @@ def python() -> tuple[Grammar, Node]:
     comps = seq(comp, star(comp))
     rule("cond_if", alt(seq(opt(ID, ":="), R("or"))))
     slice_ = alt(seq(opt(expr), ":", opt(expr), opt(":", opt(expr))), star_named)
-    kwarg = alt(seq(ID, "=", expr), seq("**", expr))
-    arg = alt(seq(named, opt(comps)), seq("*", expr), kwarg)
-    rule("call", seq("(", opt(commas(arg)), ")"))
+    # arguments in their order: by place or unpacked, then by name or unpacked, then by name or from a mapping
+    by_name, unpacked, mapping = seq(ID, "=", expr), seq("*", expr), seq("**", expr)
+    named_on = seq(many(",", alt(by_name, unpacked)), many(",", alt(by_name, mapping)))
+    arguments = alt(seq(alt(named, unpacked), many(",", alt(named, unpacked)), named_on), seq(by_name, named_on), seq(mapping, many(",", alt(by_name, mapping))))
+    rule("call", seq("(", opt(alt(seq(named, comps), seq(arguments, opt(",")))), ")"))
+    rule("bases", seq("(", opt(arguments, opt(",")), ")"))
     rule("subscript", seq("[", commas(slice_), "]"))
     hole = R("hole")
     rule("hole", seq("h(", alt(exprs, R("yield")), opt("="), opt("!", ID), opt("h:", star(hole)), "h)"))
@@ -263,9 +266,18 @@ def python() -> tuple[Grammar, Node]:
     cmp = alt(T("==", "!=", "<", ">", "<=", ">=", "in", "is"), seq("not", "in"), seq("is", "not"))
     rule("not", seq(star(T("not")), R("bit"), many(cmp, R("bit"))))
     rule("or", seq(R("not"), many(T("and", "or"), R("not"))))
-    lparam = seq(ID, opt("=", expr))
-    lparams = commas(alt(lparam, seq("*", opt(lparam)), seq("**", ID), "/"))
-    rule("lambda", seq("lambda", opt(lparams), ":", expr))
+
+    def parameters(plain, starred):
+        """Parameters in their order: without defaults before those with, one slash after some, then a
+        star or a starred one with those by name after it, then the mapping."""
+        default = seq(plain, "=", expr)
+        plains, defaults, slash, any_ = many(",", plain), many(",", default), seq(",", "/"), alt(plain, default)
+        mapped = seq("**", plain)
+        by_place = alt(seq(plain, plains, alt(seq(opt(slash), plains, defaults), seq(",", default, defaults, slash, defaults))), seq(default, defaults, opt(slash), defaults))
+        by_name = alt(seq("*", alt(seq(starred, many(",", any_)), seq(",", any_, many(",", any_))), opt(",", mapped)), mapped)
+        return seq(alt(seq(by_place, opt(",", by_name)), by_name), opt(","))
+
+    rule("lambda", seq("lambda", opt(parameters(ID, ID)), ":", expr))
     rule("expr", alt(seq(R("or"), opt("if", R("or"), "else", expr)), R("lambda")))
     rule("named", seq(opt(ID, ":="), expr))
     rule("yield", seq("yield", alt(seq("from", expr), opt(exprs))))
@@ -306,10 +318,9 @@ def python() -> tuple[Grammar, Node]:
     block = alt(R("simple"), seq("newline", "indent", R("stat"), star(R("stat")), "dedent"))
     rule("block", block)
     B = R("block")
-    param = seq(ID, opt(":", expr), opt("=", expr))
-    params = commas(alt(param, seq("*", opt(ID, opt(":", alt(expr, star_expr)))), seq("**", ID, opt(":", expr)), "/"))
+    params = parameters(seq(ID, opt(":", expr)), seq(ID, opt(":", alt(expr, star_expr))))
     funcdef = seq("def", ID, opt(R("tparams")), "(", opt(params), ")", opt("->", expr), ":", B)
-    classdef = seq("class", ID, opt(R("tparams")), opt(R("call")), ":", B)
+    classdef = seq("class", ID, opt(R("tparams")), opt(R("bases")), ":", B)
     decorators = many("@", named, "newline")
     else_ = seq("else", ":", B)
     if_ = seq("if", named, ":", B, many("elif", named, ":", B), opt(else_))
