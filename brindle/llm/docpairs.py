@@ -1,7 +1,7 @@
 """Problem 4: functions paired with their documentation.
 
 Packrat grammars (``peg.py``) over the token streams of C# and Python find types, namespaces,
-functions and their documentation, with source offsets; semantic actions then give one pair a
+functions and their documentation, with source offsets; the grammars' semantic actions emit one pair a
 function; pairs whose documentation says nothing beyond the declaration are dropped.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexers
-from .invalid import language_of, verdict
+from .invalid import language_of, parsed
 from .peg import Parser, Peg
 
 
@@ -104,39 +104,61 @@ def _python_grammar(g: Peg) -> Parser:
     return many(statement)
 
 
-def _pairs_csharp(tokens: lexers.Tokens, text: str) -> Iterator[Pair]:
-    g = Peg(tokens.kinds)
-    _csharp_grammar(g)(0)
-    starts, ends, kinds = tokens.starts, tokens.ends, tokens.kinds
-    nodes = sorted(set(g.nodes), key=lambda n: (n[1], -n[2], n[0] in ("declared", "spacename", "parameters")))
-    scope: list[list] = []  # [end, name]
-    file_space = ""
-    waiting: list | None = None
-    for rule, i, j in nodes:
-        while scope and scope[-1][0] <= i:
-            scope.pop()
-        if rule in ("namespace", "typedecl", "filespace"):
-            scope.append([j, ""])
-            waiting = ["", scope[-1], rule, i, j]
-        elif rule in ("method", "constructor"):
-            waiting = ["", None, rule, i, j]
-        elif rule in ("spacename", "declared") and waiting and not waiting[0]:
-            name = text[starts[i] : ends[j - 1]] if rule == "declared" else "".join(text[starts[k] : ends[k]] for k in range(i, j))
-            waiting[0] = name = name.removeprefix("@")
-            if waiting[1] is not None:
-                waiting[1][1] = name
-                if waiting[2] == "filespace":
-                    file_space = name
-        elif rule == "parameters" and waiting and waiting[2] in ("method", "constructor"):
-            name, _, kind, a, b = waiting
-            waiting = None
-            outer = [s[1] for s in scope]
-            if file_space and file_space not in outer[:1]:
-                outer.insert(0, file_space)
-            doc = _cs_doc(tokens, a, text)
-            if doc is not None:
-                params = [text[starts[k] : ends[k]] for k in range(i, j) if kinds[k] in _CS_ID and kinds[k + 1] in (",", ")", "=")]
-                yield Pair(starts[a], ends[b - 1], name, ".".join([*outer, name]), params, doc, kind)
+class _CSharp:
+    """Semantic actions of the C# grammar: they keep the enclosing names and emit a pair at a function's
+    parameters. The grammar is built once a process."""
+
+    def __init__(self) -> None:
+        self.peg = Peg()
+        self.start = _csharp_grammar(self.peg)
+        scope = self._scope
+        self.actions = {"namespace": scope, "typedecl": scope, "filespace": scope, "method": self._function, "constructor": self._function, "spacename": self._name, "declared": self._name, "parameters": self._parameters}
+
+    def pairs(self, tokens: lexers.Tokens, text: str) -> list[Pair]:
+        self.tokens, self.text, self.out = tokens, text, []
+        self.open: list[list] = []  # [end, name] of what encloses
+        self.file_space, self.waiting = "", None  # waiting: [name, scope, rule, start, end]
+        self.peg.parse(self.start, tokens.kinds, self.actions)
+        return self.out
+
+    def _leave(self, i: int) -> None:
+        while self.open and self.open[-1][0] <= i:
+            self.open.pop()
+
+    def _scope(self, rule: str, i: int, j: int) -> None:
+        self._leave(i)
+        self.open.append([j, ""])
+        self.waiting = ["", self.open[-1], rule, i, j]
+
+    def _function(self, rule: str, i: int, j: int) -> None:
+        self._leave(i)
+        self.waiting = ["", None, rule, i, j]
+
+    def _name(self, rule: str, i: int, j: int) -> None:
+        self._leave(i)
+        if self.waiting and not self.waiting[0]:
+            t, text = self.tokens, self.text
+            name = text[t.starts[i] : t.ends[j - 1]] if rule == "declared" else "".join(text[t.starts[k] : t.ends[k]] for k in range(i, j))
+            self.waiting[0] = name = name.removeprefix("@")
+            if self.waiting[1] is not None:
+                self.waiting[1][1] = name
+                if self.waiting[2] == "filespace":
+                    self.file_space = name
+
+    def _parameters(self, rule: str, i: int, j: int) -> None:
+        self._leave(i)
+        if not self.waiting or self.waiting[2] not in ("method", "constructor"):
+            return
+        name, _, kind, a, b = self.waiting
+        self.waiting = None
+        doc = _cs_doc(self.tokens, a, self.text)
+        if doc is not None:
+            outer = [s[1] for s in self.open]
+            if self.file_space and self.file_space not in outer[:1]:
+                outer.insert(0, self.file_space)
+            starts, ends, kinds = self.tokens.starts, self.tokens.ends, self.tokens.kinds
+            params = [self.text[starts[k] : ends[k]] for k in range(i, j) if kinds[k] in _CS_ID and kinds[k + 1] in (",", ")", "=")]
+            self.out.append(Pair(starts[a], ends[b - 1], name, ".".join([*outer, name]), params, doc, kind))
 
 
 def _cs_doc(tokens: lexers.Tokens, i: int, text: str) -> str | None:
@@ -151,41 +173,70 @@ def _cs_doc(tokens: lexers.Tokens, i: int, text: str) -> str | None:
     return "\n".join(reversed(run)) if run else None
 
 
-def _pairs_python(tokens: lexers.Tokens, text: str) -> Iterator[Pair]:
-    g = Peg(tokens.kinds)
-    _python_grammar(g)(0)
-    starts, ends, kinds = tokens.starts, tokens.ends, tokens.kinds
-    nodes = sorted(set(g.nodes), key=lambda n: (n[1], -n[2], n[0] in ("declared", "parameters", "doc", "string"), n[0] == "string"))
-    scope: list[list] = []  # [end, name, pair or None, has a body begun]
-    for rule, i, j in nodes:
-        while scope and scope[-1][0] <= i:
-            if scope[-1][2]:
-                yield scope[-1][2]
-            scope.pop()
-        if rule in ("function", "class"):
-            scope.append([j, None, None, i])
-        elif rule == "declared" and scope and scope[-1][1] is None:
-            scope[-1][1] = text[starts[i] : ends[i]]
-        elif rule == "parameters" and scope and scope[-1][2] is None and isinstance(scope[-1][3], int):
-            first, scope[-1][3] = scope[-1][3], [text[starts[k] : ends[k]] for k in range(i, j) if kinds[k] in ("id", "match", "case", "type") and kinds[k + 1] in (",", ")", "=", ":")]
-            scope[-1].append(first)
-        elif rule == "string" and scope and scope[-1][2] is None and isinstance(scope[-1][3], list):
-            end, name, _, params, first = scope[-1][:5]
-            raw = "".join(text[starts[k] : ends[k]] + " " for k in range(i, j))
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    doc = ast.literal_eval(raw.strip())
-            except (SyntaxError, ValueError, MemoryError, RecursionError):
-                continue
-            if isinstance(doc, str):
-                last = end - 1
-                while last > first and starts[last] == ends[last]:
-                    last -= 1
-                scope[-1][2] = Pair(starts[first], ends[last], name, ".".join(s[1] for s in scope), params, doc, "function")
-    for s in scope:
-        if s[2]:
-            yield s[2]
+class _Python:
+    """Semantic actions of the Python grammar: a function's pair is emitted at its docstring."""
+
+    def __init__(self) -> None:
+        self.peg = Peg()
+        self.start = _python_grammar(self.peg)
+        self.actions = {"function": self._scope, "class": self._scope, "declared": self._name, "parameters": self._parameters, "doc": self._leave, "string": self._string}
+
+    def pairs(self, tokens: lexers.Tokens, text: str) -> list[Pair]:
+        self.tokens, self.text, self.out = tokens, text, []
+        self.open: list[dict] = []  # end, first, name, params (once they are known), done
+        self.peg.parse(self.start, tokens.kinds, self.actions)
+        return self.out
+
+    def _leave(self, rule: str, i: int, j: int) -> None:
+        while self.open and self.open[-1]["end"] <= i:
+            self.open.pop()
+
+    def _scope(self, rule: str, i: int, j: int) -> None:
+        self._leave(rule, i, j)
+        self.open.append({"first": i, "end": j, "name": None, "params": None, "done": False})
+
+    def _name(self, rule: str, i: int, j: int) -> None:
+        self._leave(rule, i, j)
+        if self.open and self.open[-1]["name"] is None:
+            self.open[-1]["name"] = self.text[self.tokens.starts[i] : self.tokens.ends[i]]
+
+    def _parameters(self, rule: str, i: int, j: int) -> None:
+        self._leave(rule, i, j)
+        starts, ends, kinds = self.tokens.starts, self.tokens.ends, self.tokens.kinds
+        if self.open and self.open[-1]["params"] is None:
+            self.open[-1]["params"] = [self.text[starts[k] : ends[k]] for k in range(i, j) if kinds[k] in ("id", "match", "case", "type") and kinds[k + 1] in (",", ")", "=", ":")]
+
+    def _string(self, rule: str, i: int, j: int) -> None:
+        self._leave(rule, i, j)
+        own = self.open[-1] if self.open else None
+        if own is None or own["done"] or own["params"] is None:
+            return
+        starts, ends = self.tokens.starts, self.tokens.ends
+        raw = "".join(self.text[starts[k] : ends[k]] + " " for k in range(i, j))
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                doc = ast.literal_eval(raw.strip())
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
+            return
+        if isinstance(doc, str):
+            last = own["end"] - 1
+            while last > own["first"] and starts[last] == ends[last]:
+                last -= 1
+            own["done"] = True
+            self.out.append(Pair(starts[own["first"]], ends[last], own["name"], ".".join(s["name"] for s in self.open), own["params"], doc, "function"))
+
+
+_emitters: dict[str, _CSharp | _Python] = {}
+
+
+def functions_of(language: str, tokens: lexers.Tokens, text: str) -> list[Pair]:
+    """The functions of a valid text of C# or Python that have a documentation."""
+    if sys.getrecursionlimit() < 20_000:
+        sys.setrecursionlimit(20_000)
+    if language not in _emitters:
+        _emitters[language] = _CSharp() if language == "csharp" else _Python()
+    return _emitters[language].pairs(tokens, text)
 
 
 # ---- documentation -----------------------------------------------------------------------------
@@ -347,50 +398,54 @@ def pairs_of(path: str | None, text: str | None) -> list[tuple[int, int, str, st
     """(start_line, end_line, symbol, code, documentation) of the documented functions of a file;
     none for a null text, another language, or a text that isn't valid."""
     language = language_of(path)
-    if language not in ("csharp", "python") or text is None or verdict(language, text)[0] != "ok":
+    if language not in ("csharp", "python") or text is None:
+        return []
+    status, _, tokens = parsed(language, text)
+    if status != "ok":
         return []
-    if sys.getrecursionlimit() < 20_000:
-        sys.setrecursionlimit(20_000)
     out = []
     csharp = language == "csharp"
-    tokens = (lexers.lex_csharp if csharp else lexers.lex_python)(text)
     breaks = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
-    for p in (_pairs_csharp if csharp else _pairs_python)(tokens, text):
+    for p in functions_of(language, tokens, text):
         doc = _csharp_lines(p.doc) if csharp else _sections(p.doc)
         if not is_trivial(doc, p.name, p.symbol, p.params):
             out.append((bisect_right(breaks, p.start) + 1, bisect_right(breaks, max(p.start, p.end - 1)) + 1, p.symbol, text[p.start : p.end], " ".join(doc.split())))
     return out
 
 
-_SCHEMA = pa.schema([("project", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("symbol", pa.string()), ("code", pa.string()), ("doc", pa.string())])
+_PAIR = pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("symbol", pa.string()), ("code", pa.string()), ("doc", pa.string())])
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_files(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for project, path, text, at in zip(*(batch.column(c).to_pylist() for c in ("project", "path", "text", "at")), strict=True):
-            rows += ({"project": project, "path": path, "at": at, "start_line": s, "end_line": e, "symbol": sym, "code": c, "doc": d} for s, e, sym, c, d in pairs_of(path, text))
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows.append([{"start_line": s, "end_line": e, "symbol": sym} | ({"code": c, "doc": d} if texts else {}) for s, e, sym, c, d in pairs_of(path, text)])
+        kind = pa.list_(_PAIR if texts else pa.struct([_PAIR.field(i) for i in range(3)]))
+        yield pa.RecordBatch.from_arrays([batch.column("project"), batch.column("path"), batch.column("at"), pa.array(rows, kind)], names=["project", "path", "at", "pairs"])
+
+
+def _pairs(files: DataFrame, texts: bool) -> DataFrame:
+    """Every row's pairs, then the row ingested last of each file: one scan, and source texts aren't
+    shuffled. Without ``texts`` neither are code and documentation."""
+    at = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-(2**62))).alias("at")
+    kind = "start_line int, end_line int, symbol string" + ", code string, doc string" * texts
+    seen = files.select("project", "path", "text", at).mapInArrow(lambda b: _of_files(b, texts), f"project string, path string, at bigint, pairs array<struct<{kind}>>")
+    last = seen.groupBy("project", "path").agg(F.max_by("pairs", F.struct("at", "pairs")).alias("pairs"))
+    return last.select("project", "path", F.inline("pairs")).dropDuplicates(["project", "path", "start_line", "symbol"])
 
 
 def documented_functions(files: DataFrame) -> DataFrame:
     """Pairs of code and description: project, path, start_line, end_line, symbol, code, doc.
 
     ``files`` has project, path, text, ingested_at; more columns are ignored. Of repeated rows of a
-    file the one ingested last stands. Null texts, files of other languages and files that don't parse
-    give no pairs; so does an empty table. Of functions that start on one line under one symbol one
-    pair is kept.
+    file the one ingested last stands, of several at the same time always the same one. Null texts, files
+    of other languages and files that don't parse give no pairs; so does an empty table. Of functions that
+    start on one line under one symbol one pair is kept. Null project or path is a value like others.
     """
-    at = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-(2**62))).alias("at")
-    narrow = files.select("project", "path", at)
-    pairs = files.select("project", "path", "text", at).mapInArrow(
-        _batches, "project string, path string, at bigint, start_line int, end_line int, symbol string, code string, doc string"
-    )
-    last = narrow.groupBy("project", "path").agg(F.max("at").alias("newest"))
-    same = F.col("p.project").eqNullSafe(F.col("l.project")) & F.col("p.path").eqNullSafe(F.col("l.path")) & (F.col("p.at") == F.col("l.newest"))
-    return pairs.alias("p").join(last.alias("l"), same).select("p.*").drop("at").dropDuplicates(["project", "path", "start_line", "symbol"])
+    return _pairs(files, True)
 
 
 def found(files: DataFrame) -> DataFrame:
     """project, path, start_line, symbol of the functions with non-trivial documentation."""
-    return documented_functions(files).select("project", "path", "start_line", "symbol")
+    return _pairs(files, False).select("project", "path", "start_line", "symbol")

@@ -83,6 +83,11 @@ def verdict(language: str | None, text: str | None) -> tuple[str, int]:
         return "unknown", 0
     if language == "markdown":
         return "ok", len(text)
+    return parsed(language, text)[:2]
+
+
+def parsed(language: str, text: str) -> tuple[str, int, lexers.Tokens]:
+    """The verdict on a text of a language that is parsed, its offset, and the tokens."""
     grammar, start = _built.get(language) or _GRAMMARS[language]()
     if grammar.size > MAX_NODES:
         grammar, start = _GRAMMARS[language]()
@@ -90,10 +95,10 @@ def verdict(language: str | None, text: str | None) -> tuple[str, int]:
     tokens = _LEXERS[language](text)
     status, at = grammar.run(start, tokens.kinds)
     if status == "ok":
-        return ("token", 0) if _exact(language, text) is False else ("ok", len(text))
+        return ("token", 0, tokens) if _exact(language, text) is False else ("ok", len(text), tokens)
     if status == "token" and (begin := tokens.starts[at]) < len(text.rstrip()) and not _OPEN[language].match(text, begin):
-        return status, begin
-    return "end", len(text)
+        return status, begin, tokens
+    return "end", len(text), tokens
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

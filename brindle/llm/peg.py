@@ -2,7 +2,8 @@
 
 A parser takes a position and gives the position after it, or -1. Rules are memoised by position, so
 parsing takes time in proportion to the tokens however much is tried again. Semantic actions are
-attached to rules and run once the whole parse stands, in source order.
+attached to rules and run once the whole parse stands, in source order. A grammar is built once and
+then parses one token stream after another.
 """
 
 from __future__ import annotations
@@ -13,11 +14,33 @@ Parser = Callable[[int], int]
 
 
 class Peg:
-    def __init__(self, kinds: list[str]):
-        self.kinds = [*kinds, ""]
-        self.memo: dict[tuple[str, int], tuple[int, int, int]] = {}
+    def __init__(self) -> None:
+        self.kinds: list[str] = [""]
+        self.memo: dict[tuple[str, int], tuple[int, tuple]] = {}
         #: (rule, start, end) of the rules that stand, in the order in which they ended
         self.nodes: list[tuple[str, int, int]] = []
+        self._pairs: dict[tuple[str, str], dict[int, int]] = {}
+
+    def parse(self, start: Parser, kinds: list[str], actions: dict[str, Callable[[str, int, int], None]]) -> int:
+        """Parses a token stream, then runs the actions of the rules that stand: by their first token,
+        a rule before those inside it, and rules of the same extent in the order of ``actions``. Gives the
+        position after the last token taken."""
+        self.kinds[:] = [*kinds, ""]
+        self.memo.clear()
+        self.nodes.clear()
+        for (opening, closing), closes in self._pairs.items():
+            closes.clear()
+            stack: list[int] = []
+            for i, k in enumerate(kinds):
+                if k == opening:
+                    stack.append(i)
+                elif k == closing and stack:
+                    closes[stack.pop()] = i + 1
+        end = start(0)
+        order = {rule: n for n, rule in enumerate(actions)}
+        for rule, i, j in sorted(set(self.nodes), key=lambda n: (n[1], -n[2], order[n[0]])):
+            actions[rule](rule, i, j)
+        return end
 
     def tok(self, *classes: str) -> Parser:
         wanted, kinds = frozenset(classes), self.kinds
@@ -109,12 +132,5 @@ class Peg:
 
     def balanced(self, opening: str, closing: str) -> Parser:
         """From an opening bracket to the closing one of the same depth."""
-        kinds = self.kinds
-        closes: dict[int, int] = {}
-        stack: list[int] = []
-        for i, k in enumerate(kinds):
-            if k == opening:
-                stack.append(i)
-            elif k == closing and stack:
-                closes[stack.pop()] = i + 1
+        closes = self._pairs.setdefault((opening, closing), {})
         return lambda i: closes.get(i, -1)
