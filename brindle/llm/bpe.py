@@ -285,6 +285,40 @@ def encode(documents: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def spans(documents: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> DataFrame:
+    """doc_id, ids and ends (array<int>) of every row: the offset in the text's UTF-8 bytes after each
+    token, so that any range of tokens can be traced to its place in the text. Nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(read_ranks(tokenizer, directory))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(shared.value)
+        width = np.zeros(1 + max(v.ranks.values()), np.int32)
+        for piece, i in v.ranks.items():
+            width[i] = len(piece)
+        for batch in batches:
+            ids, offsets = v.encode_batch(batch.column("text").to_pylist())
+            upto = np.concatenate(([0], np.cumsum(width[ids], dtype=np.int64)))
+            ends = upto[1:] - np.repeat(upto[offsets[:-1]], np.diff(offsets))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "ids", "ends"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, ends array<int>")
+
+
+def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> DataFrame:
+    """doc_id and text of every row (doc_id, ids): the way back; null ids give a null text. Ids that cut
+    a character in two give U+FFFD there; an unknown id is an error."""
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(tokenizer, directory))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(shared.value)
+        for batch in batches:
+            texts = [None if ids is None else v.decode(ids) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
 def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> DataFrame:
     """doc_id and n_tokens of every row."""
     return encode(documents, tokenizer, directory).select("doc_id", F.size("ids").alias("n_tokens"))

@@ -1,6 +1,7 @@
 """Problem 7: documents packed into containers of fixed capacity.
 
-Lexical retrieval packing. Documents are spread over shards of bounded size; each shard has a BM25
+Lexical retrieval packing. Documents that share their rarest tokens are put into the same shard, of bounded
+size, so that what a seed can retrieve is near it however large the corpus; each shard has a BM25
 inverted index over its documents' tokens, with document frequencies of the whole corpus. The longest
 unused document is the seed of a container; the index returns its unused neighbours, which fill the
 window greedily while they fit; what is left is closed with the longest unused document that fits.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from . import bpe
 
-#: Documents that a shard should hold.
-SHARD_DOCS = 4_000
+#: Most documents and tokens that a shard should hold (a single longer document has one to itself).
+SHARD_DOCS, SHARD_TOKENS = 4_000, 1_500_000
 #: Usual constants of BM25.
 K1, B = 1.2, 0.75
 _SCHEMA = pa.schema([
@@ -144,9 +145,32 @@ def containers(documents: DataFrame, targets: DataFrame, directory: str = bpe.TO
     return spark.createDataFrame([], "target string, container bigint, position int, doc_id bigint, part int, start_token bigint, end_token bigint, n_tokens bigint, capacity bigint") if out is None else out
 
 
+def assign_shards(docs: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, shards) of every key from its documents and tokens: keys beside each other share a
+    shard while they fit; a key that is too large has several shards to itself."""
+    weight = np.maximum(docs / SHARD_DOCS, tokens / SHARD_TOKENS)
+    first, parts = np.zeros(len(weight), np.int64), np.ones(len(weight), np.int64)
+    at, filled = 0, 0.0
+    for k in np.flatnonzero(weight > 0).tolist():
+        if filled and filled + weight[k] > 1:
+            at, filled = at + 1, 0.0
+        first[k] = at
+        if weight[k] > 1:
+            parts[k] = -(-weight[k] // 1)
+            at += int(parts[k])
+        else:
+            filled += weight[k]
+    return first, parts
+
+
+_ENCODED = "doc_id bigint, ids array<int>"
+
+
 def _packed(documents: DataFrame, goals: list[tuple[str, int]], tokenizer: str, directory: str) -> DataFrame:
     spark = documents.sparkSession
     encoded = checkpointed(bpe.encode(documents, tokenizer, directory))
+    if not encoded.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        encoded = checkpointed(encoded.groupBy("doc_id").agg(F.min("ids").alias("ids")))
     vocabulary = 1 + max(bpe.vocabulary(bpe.read_ranks(tokenizer, directory)).ranks.values())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,21 +192,49 @@ def _packed(documents: DataFrame, goals: list[tuple[str, int]], tokenizer: str,
         df[list(counted)] = list(counted.values())
     idf = np.log1p((total - df + 0.5) / (df + 0.5))
     average = tokens / total if total else 1.0
-    shared = spark.sparkContext.broadcast((idf, average))  # one number a token of the vocabulary
-    shards = max(1, -(-total // SHARD_DOCS))
+    order = np.full(vocabulary, vocabulary, np.int64)  # the place of each token that documents share, the rarest first
+    shared_tokens = np.flatnonzero(df > 1)
+    order[shared_tokens[np.lexsort((shared_tokens, df[shared_tokens]))]] = np.arange(len(shared_tokens))
+    shared = spark.sparkContext.broadcast((idf, average, order))  # numbers a token of the vocabulary
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The two rarest shared tokens of each document, by their places; the vocabulary's size for none."""
+        order = shared.value[2]
+        for batch in batches:
+            ids = batch.column("ids")
+            offsets = ids.offsets.to_numpy()
+            place = order[ids.flatten().to_numpy()]
+            k1, k2 = np.full(len(ids), len(order)), np.full(len(ids), len(order))
+            for i, (a, b) in enumerate(zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False)):
+                if b > a:
+                    k1[i] = place[a:b].min()
+                    rest = place[a:b][place[a:b] > k1[i]]
+                    k2[i] = rest.min() if len(rest) else k1[i]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(k1), pa.array(k2)], names=["doc_id", "ids", "n", "k1", "k2"])
+
+    keyed = encoded.mapInArrow(keys, _ENCODED + ", n bigint, k1 bigint, k2 bigint")
+    docs, sizes = np.zeros(vocabulary + 1), np.zeros(vocabulary + 1)
+    for r in keyed.groupBy("k1").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).collect():  # at most a row a token
+        docs[r.k1], sizes[r.k1] = r.docs, r.tokens
+    first, parts = assign_shards(docs, sizes)
+    by_key = spark.createDataFrame(pa.table({"k1": np.arange(vocabulary + 1), "first": first, "parts": parts}))
+    # a row a token of the vocabulary; documents of a large key are spread by their second token
+    placed = keyed.join(F.broadcast(by_key), "k1").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("k2"), F.col("parts")))
+    # shards that are still too large (copies share all their tokens) are split by document
+    weight = F.greatest(F.count("*") / F.lit(SHARD_DOCS), F.sum("n") / F.lit(SHARD_TOKENS))
+    large = placed.groupBy("shard").agg(F.ceil(weight).alias("lots")).filter(F.col("lots") > 1)
+    lot = F.pmod(F.xxhash64("doc_id"), F.coalesce("lots", F.lit(1)))
+    placed = placed.join(large, "shard", "left").select("doc_id", "ids", "shard", lot.alias("lot"))
 
     def fill(table: pa.Table) -> pa.Table:
-        idf, average = shared.value
+        idf, average, _ = shared.value
         table = table.combine_chunks()
         doc = table.column("doc_id").to_pylist()
-        seen: set = set()
-        keep = [i for i, d in enumerate(doc) if not (d in seen or seen.add(d))]
-        table = table.take(keep) if len(keep) < len(doc) else table
-        order = pa.array(np.argsort([d if d is not None else -1 for d in (doc[i] for i in keep)], kind="stable"))
+        order = pa.array(np.argsort([d if d is not None else -1 for d in doc], kind="stable"))
         table = table.take(order).combine_chunks()
         ids = table.column("ids").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        doc, shard = table.column("doc_id").to_pylist(), table.column("shard")[0].as_py()
+        doc, at = table.column("doc_id").to_pylist(), (table.column("shard")[0].as_py() << 43) | (table.column("lot")[0].as_py() << 24)
         offsets = ids.offsets.to_numpy().astype(np.int64)
         flat = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
         offsets = offsets - offsets[0]
@@ -192,12 +244,11 @@ def _packed(documents: DataFrame, goals: list[tuple[str, int]], tokenizer: str,
         for target, capacity in goals:
             for c, window in enumerate(pack(sizes, capacity, index)):
                 for position, (d, part, a, b) in enumerate(window):
-                    for column, v in zip(columns, (target, (shard << 32) | c, position, doc[d], part, a, b, b - a, capacity), strict=True):
+                    for column, v in zip(columns, (target, at | c, position, doc[d], part, a, b, b - a, capacity), strict=True):
                         column.append(v)
         return pa.table([pa.array(v, f.type) for v, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    placed = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return placed.groupBy("shard").applyInArrow(
+    return placed.groupBy("shard", "lot").applyInArrow(
         fill, "target string, container bigint, position int, doc_id bigint, part int, start_token bigint, end_token bigint, n_tokens bigint, capacity bigint"
     )
 

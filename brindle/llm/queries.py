@@ -26,6 +26,8 @@ def queries() -> dict[str, Query]:
         "p5_found": _over(split.found, "chunks", "source_files", "split_limits"),
         "p5_pieces": _over(split.split_chunks, "chunks", "source_files", "split_limits"),
         "p6_ids": _over(bpe.encode, "documents"),
+        "p6_spans": _over(bpe.spans, "documents"),
+        "p6_decoded": lambda spark, d: bpe.decode(bpe.encode(table(spark, d, "documents"))),
         "p7_containers": _over(packing.containers, "documents", "pack_targets"),
         "p7_rates": _over(packing.fill_rates, "documents", "pack_targets"),
         "p8_found": _over(mojibake.found, "documents"),
@@ -36,4 +38,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The same in SQL. Parsing, vector search, encoding and packing have none; their tests hold them
     against brute force, exact parsers or a round trip."""
-    return {"p5_found": split.FOUND_SQL}
+    return {"p5_found": split.FOUND_SQL, "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
