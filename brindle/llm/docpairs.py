@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import lexers
+from ..functions import lexers
 from .invalid import language_of, parsed
 from .peg import Parser, Peg
 

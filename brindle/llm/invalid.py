@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import grammars, lexers
+from ..functions import lexers
+from . import grammars
 from .derivative import Grammar, Node
 
 #: Extension (lower case) -> language.

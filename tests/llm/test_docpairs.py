@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import docpairs, invalid, lexers
+from brindle.functions import lexers
+from brindle.llm import docpairs, invalid
 
 
 def documented(doc):
