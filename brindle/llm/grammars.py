@@ -7,7 +7,7 @@ without knowledge of names (casts, generic names, declarations), both readings a
 from __future__ import annotations
 
 from .derivative import Grammar, Node
-from .lexers import CS_CONTEXTUAL
+from ..functions.lexers import CS_CONTEXTUAL
 
 
 def csharp() -> tuple[Grammar, Node]:
