@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import threading
+import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -53,16 +54,19 @@ class Index:
         self.spark, self.project, self.config, self.embedder = spark, project, config, embedder
         at = config.cache_of(project)
         self.store = IndexStore(spark, f"{at}/base")
-        self.slots, self.registry = Folder(spark, f"{at}/slots"), Registry(Folder(spark, at))
+        self.slots, self.registry, self.stage = Folder(spark, f"{at}/slots"), Registry(Folder(spark, at)), Folder(spark, f"{at}/stage")
         self.gate, self.current = threading.RLock(), None
 
     # -- building -------------------------------------------------------------------------------
     def _found(self) -> DataFrame:
         return tree.stats(self.spark, self.project.id, self.project.root, self.project.extensions)
 
-    def _made(self, files: DataFrame) -> DataFrame:
-        """Chunks with embeddings of files (project, path, text)."""
-        return with_embeddings(chunk_files(files), self.embedder, self.config.dimensions)
+    def _made(self, files: DataFrame, at: str | None = None) -> DataFrame:
+        """Chunks with embeddings of files (project, path, text), written to a folder and read from it, so
+        that each text is embedded once, however often the rows are used and whichever executors are lost."""
+        at = at or f"{self.stage.at}/{uuid.uuid4().hex}"
+        with_embeddings(chunk_files(files), self.embedder, self.config.dimensions).write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
 
     def _save(self, chunks: DataFrame, files: DataFrame, generation: int) -> Snapshot:
         ordered = index.assign_ordinals(chunks.drop("ordinal"), "pos_in_file")
@@ -81,6 +85,7 @@ class Index:
                 self.current = self._save(self._made(files), files, old.generation + 1 if old else 0)
             finally:
                 files.unpersist()
+                self.stage.delete()
             self.slots.delete()
             self.registry.save(dict(Registry.EMPTY))
             return self.current
@@ -122,6 +127,7 @@ class Index:
                 diff.unpersist()
             finally:
                 read.unpersist()
+                self.stage.delete()
             return self.current
 
     def _fold(self, old: Snapshot, chunks: DataFrame, listing: DataFrame) -> Snapshot:
@@ -131,7 +137,7 @@ class Index:
         try:
             moved = not index.shape_changed(old.chunks, chunks).filter("changed").isEmpty()
             self._activate(None)
-            return self._save(chunks, listing, old.header.generation + moved)
+            return self._save(chunks, listing, old.header.generation + int(moved))
         finally:
             chunks.unpersist()
 
@@ -177,7 +183,7 @@ class Index:
             slot = {"id": f"{doc['next']:06d}", "key": key, "created": _now(), "generation": max([old.header.generation, *(s["generation"] for s in doc["slots"])]) + 1}
             files = listing.join(diff.filter(F.col("op") == overlay.FILE), KEY, "left_semi")
             at = f"{self.slots.at}/{slot['id']}"
-            self._made(tree.with_texts(files, self.project.root)).write.mode("overwrite").parquet(f"{at}/chunks")
+            self._made(tree.with_texts(files, self.project.root), f"{at}/chunks")
             files.write.mode("overwrite").parquet(f"{at}/files")
             diff.filter(F.col("op") == overlay.GONE).select(*KEY).write.mode("overwrite").parquet(f"{at}/gone")
             doc["next"] += 1
