@@ -252,3 +252,17 @@ def test_small_tools():
     nonce = text.split('"')[1]
     assert len(nonce) == 24 and text.endswith(f'\n</untrusted-content id="{nonce}">') and 'origin="a&quot;&lt;b&gt;&amp;&#10;"' in text
     assert tools.wrapped("x", "y") != tools.wrapped("x", "y")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from brindle.__main__ import main
+
+    write(str(tmp_path / "t"), "a.cs", SOURCE.format("Berth", "Moor"))
+    p = tmp_path / "c.json"
+    p.write_text(json.dumps({"projects": [{"id": "t", "root": str(tmp_path / "t")}], "cache_root": str(tmp_path / "cache"), "dimensions": 16, "floor": -1}))
+    assert main(["--config", str(p), "--build-only"]) == 0 and "t: 1 files, 2 chunks, generation 0" in capsys.readouterr().out
+    assert main(["--config", str(p), "--status"]) == 0
+    assert main(["--config", str(p), "--search", "Moor"]) == 0 and "Quay.Berth.Moor" in capsys.readouterr().out
+    p.write_text(json.dumps({"projects": [{"id": "t", "root": str(tmp_path / "t")}]}))  # no cache
+    assert main(["--config", str(p), "--status"]) == 1
+    assert "configuration" in capsys.readouterr().err
