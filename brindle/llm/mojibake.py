@@ -16,15 +16,20 @@ are read anew and weighed by the pairs of characters that the corpus has.
 from __future__ import annotations
 
 import math
+import os
 import re
+import tempfile
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, dropped
+from ..session import written as stored
 
 # The encodings that texts are written in and read with.
 SINGLE = ("cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman", "mac-cyrillic", "iso8859-5", "iso8859-2", "iso8859-15", "latin-1")
@@ -115,16 +120,22 @@ def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
 
 
 _LOST = "\ufffd"
-#: Layers that are taken off, characters of a run, pairs of characters that are kept (the commonest).
-LAYERS, RUN, PAIRS = 4, 120, 300_000
+#: Layers that are taken off, characters of a run.
+LAYERS, RUN = 4, 120
 _CJK = re.compile("[々぀-ヿ㐀-鿿가-힣豈-﫿]")
 
 
+def _pair(a: str, b: str) -> int:
+    """The number of a pair of characters; that of a single one is its code point, which is smaller."""
+    return (ord(a) + 1) << 21 | ord(b)
+
+
 class Known:
-    """Documents that have each character and pair of characters, as far as it isn't rare."""
+    """Documents that have each character (at most Unicode's) and each pair of characters (sorted numbers
+    and their counts, any number of them), as far as it isn't rare."""
 
-    def __init__(self, pairs: dict[str, int]):
-        self.n = pairs
+    def __init__(self, characters: dict[str, int], pairs: np.ndarray, counts: np.ndarray):
+        self.n, self.pairs, self.counts = characters, pairs, counts
 
     def all_known(self, text: str) -> bool:
         """Whether every character beyond ASCII is known and there is one."""
@@ -133,8 +144,12 @@ class Known:
 
     def weight(self, text: str) -> float:
         """The mean binary logarithm of the documents that have a pair of the text."""
-        n = [self.n.get(text[i : i + 2], 0) for i in range(len(text) - 1) if not text[i : i + 2].isascii()]
-        return sum(math.log2(1 + x) for x in n) / len(n) if n else 0.0
+        own = np.array([_pair(a, b) for a, b in zip(text, text[1:], strict=False) if a > "\x7f" or b > "\x7f"], np.int64)
+        if not len(own) or not len(self.pairs):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
+        n = self.counts[at][self.pairs[at] == own].tolist()
+        return sum(math.log2(1 + x) for x in n) / len(own)
 
 
 def _loose(text: str, encoding: str) -> bytes:
@@ -328,15 +343,41 @@ def _lost_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Characters and pairs beyond ASCII with the documents of the units that have them."""
-    count: dict[str, int] = {}
+    """Numbers of the characters and pairs beyond ASCII with the documents of the units that have them."""
+    count: dict[int, int] = {}
     for batch in batches:
         for unit, n in zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist(), strict=True):
             t = _shown(unit)
             for x in {*t, *(t[i : i + 2] for i in range(len(t) - 1))}:
                 if not x.isascii():
-                    count[x] = count.get(x, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["pair", "n"])
+                    k = _pair(*x) if len(x) == 2 else ord(x)
+                    count[k] = count.get(k, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["pair", "n"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ("pair", "n")], names=["pairs", "counts"])
+
+
+def _shared_pairs(pairs: DataFrame) -> list[str]:
+    """Names of two files that every executor gets, of the sorted pairs and of their counts. The driver
+    writes them from a partition at a time; workers map them instead of loading them, so the number of
+    pairs needs no limit."""
+    folder = tempfile.mkdtemp(prefix="brindle-")
+    paths = [os.path.join(folder, f"{os.path.basename(folder)}-{c}") for c in ("pairs", "counts")]
+    with open(paths[0], "wb") as f, open(paths[1], "wb") as g:
+        for r in pairs.orderBy("pair").mapInArrow(_packed, "pairs binary, counts binary").toLocalIterator():
+            f.write(r.pairs)
+            g.write(r.counts)
+    for path in paths:
+        pairs.sparkSession.sparkContext.addFile(path)
+    return [os.path.basename(p) for p in paths]
+
+
+def _mapped(name: str) -> np.ndarray:
+    path = SparkFiles.get(name)
+    return np.memmap(path, "<i8", "r") if os.path.getsize(path) else np.zeros(0, np.int64)
 
 
 _HIT = "unit string, original string, of bigint"
@@ -352,12 +393,14 @@ def garbled_units(counted: DataFrame) -> DataFrame:
     known_forms = known = checkpointed(known)
     # an original that is itself garbled is none
     known = known.join(known.select(F.col("unit").alias("bad")).distinct(), F.concat(F.lit("w"), "original") == F.col("bad"), "left_anti")
-    pairs = counted.mapInArrow(_pair_rows, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    common = pairs.filter(F.col("n") >= RATIO).orderBy(F.desc("n"), "pair").limit(PAIRS).collect()
-    shared = counted.sparkSession.sparkContext.broadcast({r.pair: r.n for r in common})  # at most PAIRS rows
+    pairs = stored(counted.mapInArrow(_pair_rows, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= RATIO))
+    single = F.col("pair") < _pair("\0", "\0")
+    shared = counted.sparkSession.sparkContext.broadcast({chr(r.pair): r.n for r in pairs.filter(single).collect()})  # at most Unicode's characters
+    files = _shared_pairs(pairs.filter(~single))
+    dropped(pairs)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = Known(shared.value)
+        k = Known(shared.value, *map(_mapped, files))
         for batch in batches:
             rows = []
             for unit in batch.column("unit").to_pylist():

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 
 from brindle.llm import mojibake
@@ -57,3 +60,21 @@ def test_chains(restored, k, chain):
 def test_string_in_code_and_lost_sign(restored):
     lines = 'x = "' + mojibake.garble("Größe", (("utf-8", "cp1252"),)) + '";', "Le château \ufffd même."
     assert set(restored(*lines)) == {1000, 1001}
+
+
+def test_no_pair_is_left_out(restored, monkeypatch):
+    """Few of the corpus's characters and pairs would fit under a cap."""
+    monkeypatch.setattr(mojibake, "PAIRS", 1, raising=False)
+    chains = [(2, (("utf-8", "cp1252"), ("utf-8", "cp1251"))), (3, (("utf-8", "cp1252"),)), (3, (("euc-jp", "gbk"),))]
+    assert sorted(restored(*(mojibake.garble(CLEAN[k], c) for k, c in chains))) == [1000, 1001, 1002]
+
+
+def test_weight_is_that_of_all_pairs():
+    count = {"検索": 7, "索の": 3, "é ": 5, "aé": 4}
+    keys = sorted((mojibake._pair(*p), n) for p, n in count.items())
+    known = mojibake.Known({}, *np.array(keys, np.int64).T)
+    for text in ("検索の前", "caé b", "plain", "", "\0é"):
+        own = [count.get(text[i : i + 2], 0) for i in range(len(text) - 1) if not text[i : i + 2].isascii()]
+        assert known.weight(text) == (sum(math.log2(1 + x) for x in own) / len(own) if own else 0.0)
+    none = np.zeros(0, np.int64)
+    assert mojibake.Known({}, none, none).weight("検索") == 0.0
